@@ -73,10 +73,21 @@ def sized(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is not in dropped(id); no text is shuffled while dropped is within the broadcast bound."""
-    gone = sized(materialize(dropped.select(F.col(dropped.columns[0]).alias("_gone")).distinct(), "dropped"))
-    return docs.join(gone, F.col(col).eqNullSafe(F.col("_gone")), "left_anti")
+def keep_decided(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that decisions(id, row_key, kept) keep; row_key is xxhash64 of the text.
+
+    Rows are met by id and text, so rows that share only one of them are safe. Of rows that repeat both, one stays if
+    any is kept. No text is shuffled while the dropped ids are within the broadcast bound.
+    """
+    state = decisions.groupBy(F.col(id_col).alias("__ml_id"), F.col("row_key").alias("__ml_key")).agg(F.count_if("kept").alias("__ml_kept"), F.count_if(~F.col("kept")).alias("__ml_gone"))
+    state = materialize(state.filter("__ml_gone > 0"), "dropped")
+    same = F.col(id_col).eqNullSafe(F.col("__ml_id")) & (F.col("__ml_hash") == F.col("__ml_key"))
+    keyed = docs.withColumn("__ml_hash", F.xxhash64(text_of(text_col)))
+    out = keyed.join(sized(state.select("__ml_id", "__ml_key")), same, "left_anti")
+    repeated = state.filter("__ml_kept > 0").select("__ml_id", "__ml_key")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(sized(repeated), same, "left_semi").dropDuplicates([id_col, "__ml_hash"]))
+    return out.drop("__ml_hash")
 
 
 def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +136,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, row) of every white-space separated word of the rows, in order."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, row) of every word of the rows, in order; gaps has True for the bytes between words."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = ~_SPACE[raw]
+    word = ~gaps[raw]
     first = np.zeros(n, bool)
     starts_at = off[:-1][off[:-1] < off[1:]]
     first[starts_at] = True
