@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, keep_decided, materialize, mix, sized, slices, text_of, view, word_hashes
@@ -16,6 +16,8 @@ WORDS = 5
 SIMILARITY = (4, 5)  # 0.8, as a ratio of integers
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
+#: In a later round: members of a component, and neighbours of a member, that meet in a band.
+MEMBERS, NEIGHBOURS = 4, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -168,8 +170,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with equal bags become one node first. Nodes sharing a band of their signatures meet through the band's hub,
     one of them chosen by hash and another one in each band, never as all pairs. Met pairs are verified on the bags
     themselves, which are made again from the texts of those that met. Then, round by round, the components that still
-    share a band meet through a new hub by new members, until a round adds no link. A pair at similarity 0.8 shares
-    a band with probability 0.9999.
+    share a band meet through a few members of each, other ones in each round, in order of size and with a fixed number
+    of neighbours, until a round adds no link. A pair at similarity 0.8 shares a band with probability 0.9999.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -196,23 +198,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(sized(owner.select("__ml_id").distinct()), F.col("_id").eqNullSafe(F.col("__ml_id")), "left_semi")
     bags = materialize(_bags(texts.select("_t")).join(sized(owner.select("node", "d1", "d2")), ["d1", "d2"]).select("node", "s", "c"), "bags")
 
-    links, tested = materialize(_verified(pairs, bags), "links"), pairs
-    comp = components(links)
+    tested = pairs
+    comp = materialize(components(materialize(_verified(pairs, bags), "links")), "components")
     turn = 0
     while True:
         turn += 1
-        comp = materialize(comp, "components")
+        # of every component in a band some members, of every band with several components the neighbours by size
         mine = shared.select("band", "node", "n").join(sized(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        some = F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("x"), F.col("node"), F.col("n"))).alias("r")
-        reps = materialize(mine.groupBy("band", "comp").agg(some).select("band", "r.node", "r.n"), "representatives")
-        lead = F.min(F.struct(F.xxhash64("node", "band", F.lit(-turn)).alias("x"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
-        hubs = reps.groupBy("band").agg(F.count(F.lit(1)).alias("m"), lead).filter("m > 1").select("band", "h.hub", "h.hub_n")
-        new = materialize(met(reps.join(hubs, "band")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        some = [F.min(F.struct(F.xxhash64("node", "band", F.lit(turn * MEMBERS + k)).alias("x"), F.col("node"), F.col("n"))) for k in range(MEMBERS)]
+        reps = mine.groupBy("band", "comp").agg(F.array_distinct(F.transform(F.array(*some), lambda r: F.struct(r["n"].alias("n"), r["node"].alias("node")))).alias("r"))
+        mixed = reps.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
+        reps = materialize(reps.join(mixed, "band", "left_semi").select("band", "comp", F.inline("r")), "representatives")
+        near = Window.partitionBy("band").orderBy("n", F.xxhash64("node", F.lit(turn)), "node").rowsBetween(1, NEIGHBOURS)
+        ahead = F.collect_list(F.struct(F.col("comp").alias("hub_comp"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).over(near)
+        others = reps.select("node", "n", "comp", ahead.alias("ahead")).select("node", "n", "comp", F.explode(F.filter("ahead", lambda x: x["hub_comp"] != F.col("comp"))).alias("h")).select("node", "n", "comp", "h.*")
+        new = materialize(met(others).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(_verified(new, bags), "links")
         if found.isEmpty():
             break
-        tested, links = tested.unionByName(new), links.unionByName(found)
-        comp = components(links)
+        tested = tested.unionByName(new)
+        # components of components
+        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        step = materialize(components(joined), "merged")
+        moved = comp.join(sized(step.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        fresh = step.join(sized(comp.select(F.col("node"))), "node", "left_anti")
+        comp = materialize(moved.unionByName(fresh), "components")
 
     whole = nodes.select("node", "d1", "d2", "first", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = materialize(whole, "members")
