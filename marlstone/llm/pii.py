@@ -196,5 +196,6 @@ def mask_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumn("__ml_hash", F.xxhash64(text_of(text_col)))
     joined = keyed.join(sized(some), F.col(id_col).eqNullSafe(F.col("__ml_id")) & (F.col("__ml_hash") == F.col("__ml_key")), "left")
     text = F.when(F.col("__ml_spans").isNull(), F.col(text_col)).otherwise(_redacted(F.col(text_col), F.col("__ml_spans")))
-    cols = [text.alias(c) if c == text_col else F.when(F.col("__ml_spans").isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return joined.select(*cols)
+    masked = joined.withColumn("__ml_text", text)
+    cols = [F.col("__ml_text").alias(c) if c == text_col else F.when(F.col("__ml_spans").isNull(), F.col(c)).otherwise(F.length("__ml_text").cast(docs.schema[c].dataType)).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    return masked.select(*cols)
