@@ -16,8 +16,8 @@ WORDS = 5
 SIMILARITY = (4, 5)  # 0.8, as a ratio of integers
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
-#: In a later round: members of a component, and neighbours of a member, that meet in a band.
-MEMBERS, NEIGHBOURS = 4, 16
+#: Bands of at most SMALL nodes are met pair by pair; larger ones in blocks of about BLOCK shingles.
+SMALL, BLOCK = 8, 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -158,6 +158,70 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, block, node, n, comp) of members(band, node, n, comp), cut in order of size, and (band, i, j, at): the pairs
+    of blocks i <= j that hold several components and sizes that allow the similarity, once for each block `at` of them."""
+    up, down = SIMILARITY
+    before = Window.partitionBy("band").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = members.withColumn("block", F.floor((F.sum(F.col("n") + 64).over(before) - 1) / BLOCK).cast("int"))
+    members = materialize(members.select("band", "block", "node", "n", "comp"), "blocks")
+    of = members.groupBy("band", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    x, y = (of.toDF("band", *(f"{side}_{c}" for c in of.columns[1:])) for side in "xy")
+    several = F.least("x_first", "y_first") != F.greatest("x_last", "y_last")
+    pairs = x.join(y, "band").filter((F.col("x_block") <= F.col("y_block")) & (F.col("y_lo") * up <= F.col("x_hi") * down) & several)
+    both = F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("at")
+    return members, materialize(pairs.select("band", F.col("x_block").alias("i"), F.col("y_block").alias("j"), both), "meetings")
+
+
+def _across(rows: DataFrame, tasks: int) -> DataFrame:
+    """Links between the components of every (band, i, j) of rows(band, i, j, at, node, n, comp, s, c).
+
+    Every pair of different components whose sizes allow the similarity is tested on the bags; within a block (i = j)
+    all of them, else those of one block with the other. A link joins its components at once, so that pairs it made
+    needless are passed over and no more links come out than components went in.
+    """
+    up, down = SIMILARITY
+
+    def run(table: pa.Table) -> pa.Table:
+        n, at = (table.column(k).to_numpy() for k in ("n", "at"))
+        order = np.argsort(n, kind="stable")
+        n, at, node, label = n[order], at[order], table.column("node").to_numpy()[order], np.unique(table.column("comp").to_numpy(), return_inverse=True)[1][order]
+        apart = at[0] != at[-1] or len(np.unique(at)) > 1
+        s, c = (table.column(k).to_pylist() for k in ("s", "c"))
+        start = np.r_[0, np.cumsum([len(c[k]) // 4 for k in order])]
+        code = np.unique(np.frombuffer(b"".join(s[k] for k in order), np.uint64), return_inverse=True)[1]
+        count = np.frombuffer(b"".join(c[k] for k in order), np.int32)
+        weight, left = np.zeros(int(code.max()) + 1, np.int32), len(np.unique(label))
+        end = np.searchsorted(n * up, n * down, "right")
+        a, b = [], []
+        for p in range(len(n)):
+            if left == 1:
+                break
+            other = label[p + 1 : end[p]] != label[p]
+            if apart:
+                other &= at[p + 1 : end[p]] != at[p]
+            q = np.flatnonzero(other) + p + 1
+            if not len(q):
+                continue
+            size = start[q + 1] - start[q]
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            of = np.arange(start[q[0]], start[q[-1] + 1]) if len(q) == q[-1] - q[0] + 1 else np.repeat(start[q] - first, size) + np.arange(int(size.sum()))
+            mine = slice(start[p], start[p + 1])
+            weight[code[mine]] = count[mine]
+            both = np.add.reduceat(np.minimum(weight[code[of]], count[of]), first, dtype=np.int64)
+            weight[code[mine]] = 0
+            q = q[down * both >= up * (n[p] + n[q] - both)]
+            joined, one = np.unique(label[q], return_index=True)
+            if len(joined):
+                a += [node[p]] * len(joined)
+                b += node[q[one]].tolist()
+                label[np.isin(label, joined)] = label[p]
+                left -= len(joined)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.repartition(tasks, "band", "i", "j").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
     """One row per row of docs: id, class_id, class_size, kept (and row_key with key=True).
 
@@ -167,11 +231,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty; empty texts are copies of each other; texts of one to four words are one shingle. Other columns are not
     carried; an empty table gives no rows.
 
-    Rows with equal bags become one node first. Nodes sharing a band of their signatures meet through the band's hub,
-    one of them chosen by hash and another one in each band, never as all pairs. Met pairs are verified on the bags
-    themselves, which are made again from the texts of those that met. Then, round by round, the components that still
-    share a band meet through a few members of each, other ones in each round, in order of size and with a fixed number
-    of neighbours, until a round adds no link. A pair at similarity 0.8 shares a band with probability 0.9999.
+    Rows with equal bags become one node first. Nodes sharing a band of their signatures meet through the band's hubs:
+    the node that shares most over all its bands, and one chosen by hash. Met pairs are verified on the bags themselves,
+    which are made again from the texts of those that met. Then every pair of a band whose components still differ and
+    whose sizes allow the similarity is verified, so that all links of texts that share a band count. A pair at
+    similarity 0.8 shares a band with probability 0.9999.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -182,10 +246,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = materialize(nodes, "nodes")
 
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    hub = F.min(F.struct(F.xxhash64("node", "band").alias("x"), F.col("node").alias("hub"), F.col("n").alias("hub_n")))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), hub.alias("h")).filter("m > 1").select("band", "h.hub", "h.hub_n")
-    shared = materialize(shared, "bands")
-    shared = materialize(banded.join(sized(shared), "band"), "shared")
+    bands = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bands")
+    shared = materialize(banded.join(sized(bands), "band"), "shared")
+    degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
+    by_degree, by_hash = (F.max(F.struct(*by, F.col("node").alias("hub"), F.col("n").alias("hub_n"))) for by in (["degree"], [F.xxhash64("node", "band")]))
+    hubs = shared.join(degree, "node").groupBy("band").agg(by_degree.alias("x"), by_hash.alias("y"))
+    hubs = materialize(hubs.select("band", F.explode(F.array(*(F.struct(f"{h}.hub", f"{h}.hub_n") for h in "xy"))).alias("h")).select("band", "h.*"), "hubs")
 
     def met(x: DataFrame) -> DataFrame:
         """Distinct pairs whose sizes allow the similarity."""
@@ -193,37 +259,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         close = F.least("n", "hub_n") * down >= F.greatest("n", "hub_n") * up
         return x.filter((F.col("node") != F.col("hub")) & close).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    pairs = materialize(met(shared), "pairs")
+    pairs = materialize(met(shared.join(sized(hubs), "band")), "pairs")
     owner = materialize(shared.select("node").distinct().join(nodes.select("node", "d1", "d2", F.col("first.id").alias("__ml_id")), "node"), "owners")
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(sized(owner.select("__ml_id").distinct()), F.col("_id").eqNullSafe(F.col("__ml_id")), "left_semi")
     bags = materialize(_bags(texts.select("_t")).join(sized(owner.select("node", "d1", "d2")), ["d1", "d2"]).select("node", "s", "c"), "bags")
 
-    tested = pairs
     comp = materialize(components(materialize(_verified(pairs, bags), "links")), "components")
-    turn = 0
-    while True:
-        turn += 1
-        # of every component in a band some members, of every band with several components the neighbours by size
-        mine = shared.select("band", "node", "n").join(sized(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        some = [F.min(F.struct(F.xxhash64("node", "band", F.lit(turn * MEMBERS + k)).alias("x"), F.col("node"), F.col("n"))) for k in range(MEMBERS)]
-        reps = mine.groupBy("band", "comp").agg(F.array_distinct(F.transform(F.array(*some), lambda r: F.struct(r["n"].alias("n"), r["node"].alias("node")))).alias("r"))
-        mixed = reps.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
-        reps = materialize(reps.join(mixed, "band", "left_semi").select("band", "comp", F.inline("r")), "representatives")
-        near = Window.partitionBy("band").orderBy("n", F.xxhash64("node", F.lit(turn)), "node").rowsBetween(1, NEIGHBOURS)
-        ahead = F.collect_list(F.struct(F.col("comp").alias("hub_comp"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).over(near)
-        others = reps.select("node", "n", "comp", ahead.alias("ahead")).select("node", "n", "comp", F.explode(F.filter("ahead", lambda x: x["hub_comp"] != F.col("comp"))).alias("h")).select("node", "n", "comp", "h.*")
-        new = materialize(met(others).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verified(new, bags), "links")
-        if found.isEmpty():
-            break
-        tested = tested.unionByName(new)
-        # components of components
-        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        step = materialize(components(joined), "merged")
-        moved = comp.join(sized(step.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        fresh = step.join(sized(comp.select(F.col("node"))), "node", "left_anti")
-        comp = materialize(moved.unionByName(fresh), "components")
+    mine = shared.select("band", "node", "n", "m").join(sized(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mine = materialize(mine, "placed")
+    mixed = materialize(mine.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band"), "mixed")
+    mine = mine.join(sized(mixed), "band", "left_semi")
+    # small bands: pair by pair, so that pairs that share several are verified once
+    few = mine.filter(F.col("m") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("node", "n", "comp")).alias("all"))
+    few = few.select("all", F.inline("all")).select("node", "n", "comp", F.explode("all").alias("h")).filter("node < h.node AND comp <> h.comp")
+    new = met(few.select("node", "n", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))).join(pairs, ["a", "b"], "left_anti")
+    found = _verified(materialize(new, "pairs"), bags)
+    # large bands: in blocks
+    members, meetings = _blocks(mine.filter(F.col("m") > SMALL))
+    there = meetings.withColumnRenamed("at", "block").join(members, ["band", "block"]).withColumnRenamed("block", "at")
+    found = materialize(found.unionByName(_across(there.join(bags, "node").select("band", "i", "j", "at", "node", "n", "comp", "s", "c"), 4 * spark.sparkContext.defaultParallelism)), "links")
+    # components of components
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    step = materialize(components(joined), "merged")
+    moved = comp.join(sized(step.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = step.join(sized(comp.select(F.col("node"))), "node", "left_anti")
+    comp = materialize(moved.unionByName(fresh), "components")
 
     whole = nodes.select("node", "d1", "d2", "first", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = materialize(whole, "members")

@@ -334,6 +334,39 @@ def test_near_classes_against_all_pairs(spark, docs, odd, nothing):
     assert neardup.near_classes(nothing).count() == 0
 
 
+def star(copies, words=240, changes=4, seed=5):
+    """An original and copies at about 0.84 to it and about 0.72 to each other: each copy has its own changed words."""
+    rng = np.random.default_rng(seed)
+    text = [f"w{k}" for k in range(words)]
+    out = [" ".join(text)]
+    for c in range(copies):
+        t = list(text)
+        for k in rng.choice(np.arange(4, words - 4, 5), changes, replace=False):
+            t[k] = f"c{c}_{k}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_near_classes_of_a_star(spark):
+    texts = star(1200)
+    rows = [(10 * i, t) for i, t in enumerate(texts)]
+    sizes = collections.Counter(r.class_size for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sizes == {len(texts): len(texts)}
+
+
+def test_near_classes_meet_in_blocks(spark, monkeypatch):
+    """No hub links: all that a band holds must be verified, within blocks and across them."""
+    texts = star(60) + star(60, seed=6) + [" ".join(f"x{k}" for k in range(240))]
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, bags: verified(pairs, bags).filter("false"))
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    force = classes_by_force(texts)
+    want = {i: min(j for j, c in enumerate(force) if c == force[i]) for i in range(len(texts))}
+    assert got == want
+
+
 def test_bag_min_hash_is_unbiased():
     rng = np.random.default_rng(2)
     shingles = rng.integers(1, 2**63, 60).astype(np.uint64)
