@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +120,8 @@ def _valid(v: Column) -> Column:
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, id and score: the k nearest found by cosine of every row for which `queries` holds, best first.
 
-    Rows that are null, zero or hold null or non-finite components take no part; nor do rows whose length is not the
-    most common one (ties: the shorter). Rows with the query's own id are no candidates; equal scores rank by smaller id; of a repeated id
+    Rows that are null, zero or hold null or non-finite components take no part. Each vector length
+    is searched by itself, with codebooks of its own. Rows with the query's own id are no candidates; equal scores rank by smaller id; of a repeated id
     each row is a candidate, and each distinct query id asks once (with its first vector).
 
     All rows are coded. Blocks of rows meet blocks of queries (a stated set); in each meeting the table scan picks
@@ -131,20 +132,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     arrow_batches(spark, rows=2000, size="8m")
     v = F.col(vector_col).cast("array<float>")
     rows = vectors.filter(_valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), queries.alias("q"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    asked = materialize(rows.filter("q").groupBy("id").agg(F.min("v").alias("v")), "asked")
+    sizes = rows.groupBy(F.size("v").alias("d")).count().join(asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")), "d").orderBy("d").collect()
     out_schema = f"query_id bigint, rank int, {id_col} bigint, score double"
     if not sizes:
         return spark.createDataFrame([], out_schema)
-    d, total = sizes[0]["d"], sizes[0]["count"]
-    rows = rows.filter(F.size("v") == d)
+    found = [_search_length(rows.filter(F.size("v") == x["d"]), asked.filter(F.size("v") == x["d"]), x["d"], x["count"], x["n"], k, rerank, block) for x in sizes]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+
+
+def _search_length(rows: DataFrame, asked: DataFrame, d: int, total: int, n_asked: int, k: int, rerank: int, block: int) -> DataFrame:
+    """(query_id, id, score) of the candidates that every meeting of blocks lets go on; all vectors have d components."""
+    spark = rows.sparkSession
     pad = -d % SUBSPACE
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sample = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
     sample = np.pad(sample, ((0, 0), (0, pad))) / np.linalg.norm(sample, axis=1, keepdims=True)
     book = spark.sparkContext.broadcast(fit_codebook(sample))
 
-    asked = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-asked.count() // QUERIES))
+    n_blocks = max(1, -(-n_asked // QUERIES))
     n_parts = max(1, -(-total // block))
     # one row for each block of queries: its ids and vectors
     asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("qb")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("qs"))
@@ -157,12 +164,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
             i, x = np.concatenate(ids), np.concatenate(vecs)
             order = np.argsort(i, kind="stable")
             i, x = i[order], x[order]
-            # of equal vectors only the k + 1 smallest ids can be in a result
+            # of equal vectors k rows of an id and then 2 k rows suffice: k remain whichever id asks
             same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * d))).ravel(), return_inverse=True)[1]
             by = np.argsort(same, kind="stable")
-            nth = np.empty(len(i), np.int64)
-            nth[by] = np.arange(len(i)) - np.searchsorted(same[by], same[by])
-            i, x = i[nth <= k], x[nth <= k]
+            new = np.r_[True, (same[by][1:] != same[by][:-1]) | (i[by][1:] != i[by][:-1])]
+            by = by[np.arange(len(by)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+            by = np.sort(by[np.arange(len(by)) - np.searchsorted(same[by], same[by]) < 2 * k])
+            i, x = i[by], x[by]
             unit = x.astype(np.float64)
             unit = np.pad(unit / np.linalg.norm(unit, axis=1, keepdims=True), ((0, 0), (0, pad)))
             codes = book.value.encode(unit)
@@ -220,6 +228,4 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                     found = i[np.take_along_axis(best, order, 1)].ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(some.repeat(order.shape[1])[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "id", "score"])
 
-    found = met.select("ids", "vecs", "codes", "qs").repartition(n_parts * n_blocks).mapInArrow(meet, "query_id bigint, id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    return met.select("ids", "vecs", "codes", "qs").repartition(n_parts * n_blocks).mapInArrow(meet, "query_id bigint, id bigint, score double")

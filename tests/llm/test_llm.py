@@ -289,6 +289,13 @@ def test_ann_recall_and_awkward(spark):
     assert ann.search(small.filter("vec_id = 3"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_every_length_and_repeated_ids(spark):
+    pairs = [(0, [1.0, 0.0])] * 7 + [(i, [1.0, 0.0]) for i in range(1, 9)]
+    threes = [(50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0])]
+    got = ann.search(spark.createDataFrame(pairs + threes, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, n, n) for n in range(1, 6)] + [(50, 1, 51)]
+
+
 # -- 10
 def bag(t):
     w = (t or "").split()
