@@ -9,6 +9,8 @@ from .common import materialize, sized, text_of
 
 MAX_RATIO = 0.5
 MIN_PAGES = 5
+#: Tasks that the pages of one host are dealt to at most, where lines to drop are joined by shuffle.
+SALTS = 64
 
 
 def html_lines(html: str | Column) -> Column:
@@ -30,7 +32,7 @@ def host_of(url: str | Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without surrounding blanks; blank ones do not count."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\x20\t\r]+|[\x20\t\r]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
 def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -38,22 +40,31 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column,
 
     A line is dropped when more than max_ratio of its host's pages hold it and the host has at least min_pages pages.
     Pages without a host share the empty one. A line counts once a page however often it stands there, and is dropped
-    wherever it stands. Null text has no lines; repeated rows are pages of their own; other columns are not carried.
+    wherever it stands. Null text has no lines; repeated rows are pages of their own; a null id stays null; other
+    columns are not carried and may have any names; an empty table gives no rows; texts may be of any length.
 
-    Lines travel as 128 bits of hash, counted by task before the shuffle. At most (lines a page) / max_ratio lines of a
-    host can exceed the ratio, so what a host's pages look up is small however many pages it has.
+    Pages are parsed once, into a written table of lines. Lines are counted as 128 bits of hash, by task before the
+    shuffle. At most (lines a page) / max_ratio lines of a host can exceed the ratio, so what a host's pages look up is
+    small however many pages it has; where all hosts' are too large to be sent to every task, pages are dealt by host
+    and one of SALTS numbers, so that a large host is many tasks.
     """
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), lines_of(text).alias("_lines"))
+    rows = materialize(rows, "lines")
 
     def code(x: Column) -> Column:
         return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))
 
-    hashed = rows.select("_host", F.array_distinct(F.transform("_lines", code)).alias("_codes"))
-    total = hashed.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
-    count = hashed.select("_host", F.explode("_codes").alias("_code")).groupBy("_host", "_code").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    total = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
+    lines = rows.select("_host", F.explode(F.array_distinct("_lines")).alias("_line"))
+    count = lines.groupBy("_host", code(F.col("_line")).alias("_code")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     often = count.join(total, "_host").filter(F.col("_n") > max_ratio * F.col("_pages")).groupBy("_host").agg(F.collect_list("_code").alias("_often"))
     often = materialize(often, "boilerplate")
-    kept = rows.join(sized(often, 100_000), "_host", "left")
+    small = sized(often)
+    if small is not often:
+        kept = rows.join(small, "_host", "left")
+    else:
+        dealt = often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        kept = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_lines"), F.lit(SALTS)).cast("int")).join(dealt, ["_host", "_salt"], "left")
     keep = F.when(F.col("_often").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_often"), code(x))))
     out = kept.select("_id", "_host", F.size("_lines").cast("long").alias("n_lines"), keep.alias("_keep"))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), "n_lines", (F.col("n_lines") - F.size("_keep")).alias("n_dropped"), F.array_join("_keep", "\n").alias("text"))
