@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -13,14 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that may be sent to every executor at once (about 64 MB); beyond it the join is by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Bytes of a table that may be sent to every executor at once; beyond it the join is by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: What a byte of a written (encoded, compressed) table takes in memory at most, nearly always.
+UNPACKED = 4
+
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (local runs)."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where a local master has none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="marlstone-")
         shared_dir.own = path
         spark.conf.set("spark.checkpoint.dir", path)
@@ -28,14 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/marlstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/marlstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables written inside go at its end, but for those whose frames were passed to the function it gives; these
+    belong to the scope around it, if any. Nothing lazy that reads a table that goes may leave the scope."""
+    stack = _scopes.open = getattr(_scopes, "open", [])
+    mine: list[str] = []
+    kept: set[str] = set()
+    stack.append(mine)
+    try:
+        yield lambda *frames: kept.update(f._ml_path for f in frames)
+    finally:
+        stack.pop()
+        for path in mine:
+            if path in kept:
+                for outer in stack[-1:]:
+                    outer.append(path)
+            else:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ml_path = path
+    return out
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,9 +102,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Mark a (materialized) side for broadcast if its row count is within the limit; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark a side made of written tables for broadcast if their bytes, unpacked, are within the limit (by default
+    BROADCAST_BYTES); else leave the join to a shuffle. Only file sizes are looked at; no job runs."""
+    size = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return F.broadcast(df) if size * UNPACKED <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def keep_decided(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +138,7 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(raw: np.ndarray, off: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(raw: np.ndarray, off: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `size` bytes; a longer text is a range of its own."""
     lo, n = 0, len(off) - 1
     while lo < n:
