@@ -1,7 +1,8 @@
-"""Token ids by the tokenizers library, whole texts, with a bounded cache of words.
+"""Token ids by the tokenizers library, whole texts, with a bounded cache of pieces.
 
-A text is cut where no token can span (white space); each distinct piece is encoded by the library once per worker,
-and a text's ids are the concatenation of its pieces' ids. Two generations of at most CACHE pieces bound the memory.
+A text is cut where no token can span (white space); a piece is encoded by the library, or, where punctuation surely
+stands by itself, by that of its words; a text's ids are the concatenation of its pieces' ids. Pieces and words share
+one cache. Two generations of at most CACHE entries bound its memory.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import numpy as np
 import regex
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-CACHE = 500_000
+#: Entries of a generation that a worker keeps (about 160 bytes each; two generations).
+CACHE = 250_000
 #: Longer pieces are encoded but not kept.
 KEEP_BYTES = 48
 
@@ -65,7 +67,6 @@ class WordBpe:
         self.whole = Tokenizer.from_str(text)
         self.whole.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.pieces = Pieces(self._piece)
-        self.words: dict[str, bytes] = {}
         spec = json.loads(text)
         split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), None)
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -77,15 +78,9 @@ class WordBpe:
         self.plain = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = packed([t.id for t in self.model.tokenize(mapped)])
-            if len(word) <= KEEP_BYTES:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        """Ids of a lower-case word that the pattern leaves whole."""
+        mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return packed([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8")
@@ -94,8 +89,9 @@ class WordBpe:
             if text.isalpha():
                 return self._word(text)
             if text[-1] in ".,;:!?" and text[:-1].isalpha():
-                return self._word(text[:-1]) + self._word(text[-1])
-            return b"".join(map(self._word, self.split.findall(text)))
+                return self.pieces[text[:-1].encode()] + self.pieces[piece[-1:]]
+            words = self.split.findall(text)
+            return self._word(text) if words == [text] else b"".join([self.pieces[w.encode()] for w in words])
         return packed(self.whole.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
