@@ -16,7 +16,6 @@ from .tokens import word_bpe
 
 #: Stripes are the unit of parallel reads and of pruning.
 STRIPE_BYTES = 16 << 20
-PARTITION_ROWS = 200_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -56,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     (
         ordered.mapInArrow(run, f"part int, `{id_col}` {kind}, local_start bigint, n_tokens bigint, ids array<int>")
         .write.format("orc")
-        .options(**{"compression": "zlib", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(STRIPE_BYTES), "orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01"})
+        .options(**{"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(STRIPE_BYTES), "orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01"})
         .save(path)
     )
 
