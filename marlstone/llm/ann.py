@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,17 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return total
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their lengths), each row over a power of two, which rounds nothing, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x, np.sqrt((x * x).sum(1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x, norm = _scaled(x)
+    return x / norm[:, None]
+
+
 def _valid(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
@@ -120,82 +132,95 @@ def _valid(v: Column) -> Column:
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, id and score: the k nearest found by cosine of every row for which `queries` holds, best first.
 
-    Rows that are null, zero or hold null or non-finite components take no part. Each vector length
-    is searched by itself, with codebooks of its own. Rows with the query's own id are no candidates; equal scores rank by smaller id; of a repeated id
-    each row is a candidate, and each distinct query id asks once (with its first vector).
+    Rows that are null, zero or hold null or non-finite components take no part. A cosine exists between vectors of one
+    length only, so each length is searched by itself, with codebooks of its own. Rows with the query's own id are no
+    candidates; equal scores rank by smaller id; of a repeated id each row is a candidate, and each distinct query id
+    asks once (with its least vector). Other columns are not carried and may have any names; an empty table gives no
+    rows.
 
-    All rows are coded. Blocks of rows meet blocks of queries (a stated set); in each meeting the table scan picks
-    `rerank` rows for each query, their cosines are computed in double precision from the original vectors, and k of
-    them go on. The codebooks are fitted on SAMPLE rows, chosen by hash.
+    All rows are coded, in blocks that stay where they are written. Blocks of queries (a stated set) are sent to every
+    block of rows; in each meeting the table scan picks `rerank` rows for each query, their cosines are computed in
+    double precision from the original vectors, and k of them go on. The codebooks are fitted on SAMPLE rows, chosen by
+    hash.
     """
     spark = vectors.sparkSession
     arrow_batches(spark, rows=2000, size="8m")
-    v = F.col(vector_col).cast("array<float>")
+    wide = vectors.schema[vector_col].dataType.elementType.simpleString() != "float"
+    v = F.col(vector_col).cast("array<double>" if wide else "array<float>")
     rows = vectors.filter(_valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), queries.alias("q"))
     asked = materialize(rows.filter("q").groupBy("id").agg(F.min("v").alias("v")), "asked")
     sizes = rows.groupBy(F.size("v").alias("d")).count().join(asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")), "d").orderBy("d").collect()
     out_schema = f"query_id bigint, rank int, {id_col} bigint, score double"
     if not sizes:
         return spark.createDataFrame([], out_schema)
-    found = [_search_length(rows.filter(F.size("v") == x["d"]), asked.filter(F.size("v") == x["d"]), x["d"], x["count"], x["n"], k, rerank, block) for x in sizes]
+    found = [_search_length(rows.filter(F.size("v") == x["d"]), asked.filter(F.size("v") == x["d"]), x["d"], x["count"], x["n"], wide, k, rerank, block) for x in sizes]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
 
 
-def _search_length(rows: DataFrame, asked: DataFrame, d: int, total: int, n_asked: int, k: int, rerank: int, block: int) -> DataFrame:
+def _few_of_equal(i: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of rows that suffice: of equal vectors k rows of an id and then 2 k rows; rows are sorted by id.
+    Whichever id asks, k rows of others remain where there were that many."""
+    same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1]
+    by = np.argsort(same, kind="stable")
+    new = np.r_[True, (same[by][1:] != same[by][:-1]) | (i[by][1:] != i[by][:-1])]
+    by = by[np.arange(len(by)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+    return np.sort(by[np.arange(len(by)) - np.searchsorted(same[by], same[by]) < 2 * k])
+
+
+def _search_length(rows: DataFrame, asked: DataFrame, d: int, total: int, n_asked: int, wide: bool, k: int, rerank: int, block: int) -> DataFrame:
     """(query_id, id, score) of the candidates that every meeting of blocks lets go on; all vectors have d components."""
     spark = rows.sparkSession
     pad = -d % SUBSPACE
+    real = np.float64 if wide else np.float32
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sample = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
-    sample = np.pad(sample, ((0, 0), (0, pad))) / np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = np.pad(_unit(sample), ((0, 0), (0, pad)))
     book = spark.sparkContext.broadcast(fit_codebook(sample))
 
-    n_blocks = max(1, -(-n_asked // QUERIES))
-    n_parts = max(1, -(-total // block))
-    # one row for each block of queries: its ids and vectors
-    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("qb")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("qs"))
-    # one row for each block of rows and each block of queries that it meets; the hash of the id decides the block
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a task in packed blocks of at most `block`: ids, vectors and codes."""
+        """Rows of a task in packed blocks of at most `block`: ids, vectors and codes, numbered within the job."""
         ids, vecs = [], []
+        number = TaskContext.get().partitionId() << 32
 
         def flush():
             i, x = np.concatenate(ids), np.concatenate(vecs)
             order = np.argsort(i, kind="stable")
             i, x = i[order], x[order]
-            # of equal vectors k rows of an id and then 2 k rows suffice: k remain whichever id asks
-            same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * d))).ravel(), return_inverse=True)[1]
-            by = np.argsort(same, kind="stable")
-            new = np.r_[True, (same[by][1:] != same[by][:-1]) | (i[by][1:] != i[by][:-1])]
-            by = by[np.arange(len(by)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
-            by = np.sort(by[np.arange(len(by)) - np.searchsorted(same[by], same[by]) < 2 * k])
+            by = _few_of_equal(i, x, k)
             i, x = i[by], x[by]
-            unit = x.astype(np.float64)
-            unit = np.pad(unit / np.linalg.norm(unit, axis=1, keepdims=True), ((0, 0), (0, pad)))
-            codes = book.value.encode(unit)
+            codes = book.value.encode(np.pad(_unit(x.astype(np.float64)), ((0, 0), (0, pad))))
             two = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
             nibbles = (two[:, ::2] << 4 | two[:, 1::2]).tobytes()
             ids.clear(), vecs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([nibbles], pa.binary())], ["ids", "vecs", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in (i.tobytes(), x.tobytes(), nibbles))], ["b", "ids", "vecs", "codes"])
 
         held = 0
         for batch in batches:
             i = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float32)
-            for lo in range(0, len(i), block):
-                ids.append(i[lo : lo + block])
-                vecs.append(x[lo : lo + block])
-                held += len(ids[-1])
-                if held >= block:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(real)
+            lo = 0
+            while lo < len(i):
+                hi = min(len(i), lo + block - held)
+                ids.append(i[lo:hi])
+                vecs.append(x[lo:hi])
+                held, lo = held + hi - lo, hi
+                if held == block:
                     yield flush()
-                    held = 0
+                    number, held = number + 1, 0
         if held:
             yield flush()
 
-    packed = rows.select("id", "v").repartition(n_parts, F.xxhash64("id")).mapInArrow(pack, "ids binary, vecs binary, codes binary")
+    # the hash of the id deals rows evenly; a row that repeats an id often is dealt by its vector too
+    n_parts = max(1, -(-total // block))
+    packed = rows.select("id", "v").repartition(n_parts, F.xxhash64("id", "v")).mapInArrow(pack, "b bigint, ids binary, vecs binary, codes binary")
     packed = materialize(packed, "index")
-    met = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked.withColumn("qb", F.col("qb").cast("int")), "qb")
+    # a row for each block of queries and each block of rows; a block of rows is one key, met by all queries
+    n_blocks = max(1, -(-n_asked // QUERIES))
+    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("qb")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("qs"))
+    blocks = [r.b for r in packed.select("b").collect()]  # a number for each `block` rows
+    sent = asked.select("qs", F.explode(F.lit(blocks)).alias("b"))
+    met = packed.hint("shuffle_merge").join(sent, "b")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = book.value.words
@@ -203,16 +228,16 @@ def _search_length(rows: DataFrame, asked: DataFrame, d: int, total: int, n_aske
         for batch in batches:
             for r in range(batch.num_rows):
                 i = np.frombuffer(batch.column(0)[r].as_py(), np.int64)
-                x = np.frombuffer(batch.column(1)[r].as_py(), np.float32).reshape(-1, d).astype(np.float64)
+                x = np.frombuffer(batch.column(1)[r].as_py(), real).reshape(-1, d).astype(np.float64)
                 two = np.frombuffer(batch.column(2)[r].as_py(), np.uint8).reshape(len(i), -1)
                 codes = np.stack([two >> 4, two & 15], 2).reshape(len(i), -1)[:, :m]
                 qs = batch.column(3)[r].values
                 qid = qs.field("id").to_numpy(zero_copy_only=False)
                 qv = qs.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
-                norm = np.sqrt((x * x).sum(1))
+                x, norm = _scaled(x)
                 for lo in range(0, len(qid), 128):
                     q, some = qv[lo : lo + 128], qid[lo : lo + 128]
-                    qn = np.sqrt((q * q).sum(1))
+                    q, qn = _scaled(q)
                     unit = np.pad(q / qn[:, None], ((0, 0), (0, pad))).reshape(len(q), m, -1)
                     near = scan(codes, np.einsum("qmd,mkd->qmk", unit, words))
                     near[some[:, None] == i[None]] = -1
@@ -228,4 +253,4 @@ def _search_length(rows: DataFrame, asked: DataFrame, d: int, total: int, n_aske
                     found = i[np.take_along_axis(best, order, 1)].ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(some.repeat(order.shape[1])[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "id", "score"])
 
-    return met.select("ids", "vecs", "codes", "qs").repartition(n_parts * n_blocks).mapInArrow(meet, "query_id bigint, id bigint, score double")
+    return met.select("ids", "vecs", "codes", "qs").mapInArrow(meet, "query_id bigint, id bigint, score double")
