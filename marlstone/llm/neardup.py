@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep_decided, materialize, mix, sized, slices, text_of, view, word_hashes
+from .common import arrow_batches, keep_decided, materialize, mix, scope, sized, slices, text_of, view, word_hashes
 from .components import components
 
 WORDS = 5
@@ -18,6 +18,8 @@ BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 #: Bands of at most SMALL nodes are met pair by pair; larger ones in blocks of about BLOCK shingles.
 SMALL, BLOCK = 8, 1 << 19
+#: Groups of equal bags with more rows than this are dealt over SALTS tasks when rows look up their class.
+HOT_GROUP, SALTS = 10_000, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -159,16 +161,26 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, block, node, n, comp) of members(band, node, n, comp), cut in order of size, and (band, i, j, at): the pairs
-    of blocks i <= j that hold several components and sizes that allow the similarity, once for each block `at` of them."""
+    """(band, block, node, n, comp) of members(band, node, n, comp), and (band, i, j, at): the pairs of blocks i <= j that
+    hold several components and sizes that allow the similarity, once for each block `at` of them.
+
+    A band is cut by classes of size, each a factor of the similarity wide, and a class by hash into blocks of about
+    BLOCK shingles. Sizes are summed by task before the shuffle, so a hot band is no task of its own.
+    """
     up, down = SIMILARITY
-    before = Window.partitionBy("band").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = members.withColumn("block", F.floor((F.sum(F.col("n") + 64).over(before) - 1) / BLOCK).cast("int"))
-    members = materialize(members.select("band", "block", "node", "n", "comp"), "blocks")
+    members = members.withColumn("g", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(float(np.log(down / up)))).cast("int"))
+    cut = materialize(members.groupBy("band", "g").agg(F.ceil(F.sum(F.col("n") + 64) / BLOCK).alias("cuts")), "cuts")
+    block = F.shiftleft(F.col("g").cast("long"), 40) + F.pmod(F.xxhash64("node"), F.col("cuts"))
+    members = materialize(members.join(sized(cut), ["band", "g"]).select("band", block.alias("block"), "node", "n", "comp"), "blocks")
     of = members.groupBy("band", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    of = materialize(of, "ranges")
     x, y = (of.toDF("band", *(f"{side}_{c}" for c in of.columns[1:])) for side in "xy")
+    # sizes that differ by no more than the similarity allows lie in the same class or in neighbouring ones
+    x = x.withColumn("g", F.explode(F.array(F.shiftright("x_block", 40), F.shiftright("x_block", 40) + 1)))
+    y = y.withColumn("g", F.shiftright("y_block", 40))
     several = F.least("x_first", "y_first") != F.greatest("x_last", "y_last")
-    pairs = x.join(y, "band").filter((F.col("x_block") <= F.col("y_block")) & (F.col("y_lo") * up <= F.col("x_hi") * down) & several)
+    near = (F.col("x_block") <= F.col("y_block")) & (F.col("y_lo") * up <= F.col("x_hi") * down) & (F.col("x_lo") * up <= F.col("y_hi") * down)
+    pairs = x.join(y, ["band", "g"]).filter(near & several)
     both = F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("at")
     return members, materialize(pairs.select("band", F.col("x_block").alias("i"), F.col("y_block").alias("j"), both), "meetings")
 
@@ -237,6 +249,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose sizes allow the similarity is verified, so that all links of texts that share a band count. A pair at
     similarity 0.8 shares a band with probability 0.9999.
     """
+    with scope(docs.sparkSession) as keep:
+        sketch, classes = _classes(docs, id_col, text_col)
+        keep(sketch, classes)
+    hot = classes.filter(F.col("size") > HOT_GROUP).select("d1", "d2", F.lit(True).alias("_hot"))  # at most rows / HOT_GROUP
+    out = sketch.select("_id", "_key", "_rid", "d1", "d2").join(sized(hot), ["d1", "d2"], "left")
+    out = out.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int")).otherwise(0))
+    dealt = classes.withColumn("_salt", F.explode(F.when(F.col("size") > HOT_GROUP, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    out = out.join(dealt, ["d1", "d2", "_salt"])
+    return out.select(F.col("_id").alias(id_col), F.col("head.id").alias("class_id"), F.col("class_size").cast("long"), (F.col("_rid") == F.col("head.rid")).alias("kept"), *[F.col("_key").alias("row_key")] * key)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the sketches (_id, _key, _rid, d1, d2, ...) and, of each distinct bag, d1, d2, size (its rows), head
+    (the class's first row) and class_size."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_key"), text_of(text_col).alias("_t"))
@@ -262,9 +288,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = materialize(met(shared.join(sized(hubs), "band")), "pairs")
     owner = materialize(shared.select("node").distinct().join(nodes.select("node", "d1", "d2", F.col("first.id").alias("__ml_id")), "node"), "owners")
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(sized(owner.select("__ml_id").distinct()), F.col("_id").eqNullSafe(F.col("__ml_id")), "left_semi")
-    bags = materialize(_bags(texts.select("_t")).join(sized(owner.select("node", "d1", "d2")), ["d1", "d2"]).select("node", "s", "c"), "bags")
+    bags = _bags(texts.select("_t")).join(sized(owner.select("node", "d1", "d2")), ["d1", "d2"]).select("node", "s", "c")
+    own = owner.select("__ml_id", F.col("d1").alias("o1"), F.col("d2").alias("o2"))
+    if sketch.select("_id", "d1", "d2").join(sized(own), F.col("_id").eqNullSafe(F.col("__ml_id")) & (F.col("d1") == F.col("o1")) & (F.col("d2") == F.col("o2")), "left_semi").count() > owner.count():
+        bags = bags.dropDuplicates(["node"])  # rows that repeat an owner's id and bag
+    bags = materialize(bags, "bags")
 
-    comp = materialize(components(materialize(_verified(pairs, bags), "links")), "components")
+    comp = components(materialize(_verified(pairs, bags), "links"))
     mine = shared.select("band", "node", "n", "m").join(sized(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mine = materialize(mine, "placed")
     mixed = materialize(mine.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band"), "mixed")
@@ -281,7 +311,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # components of components
     of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    step = materialize(components(joined), "merged")
+    step = components(joined)
     moved = comp.join(sized(step.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     fresh = step.join(sized(comp.select(F.col("node"))), "node", "left_anti")
     comp = materialize(moved.unionByName(fresh), "components")
@@ -289,9 +319,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = nodes.select("node", "d1", "d2", "first", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = materialize(whole, "members")
     heads = whole.groupBy("comp").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"))
-    classes = whole.select("d1", "d2", "comp").join(heads, "comp").select("d1", "d2", "head", "class_size")
-    out = sketch.select("_id", "_key", "_rid", "d1", "d2").join(classes, ["d1", "d2"])
-    return out.select(F.col("_id").alias(id_col), F.col("head.id").alias("class_id"), F.col("class_size").cast("long"), (F.col("_rid") == F.col("head.rid")).alias("kept"), *[F.col("_key").alias("row_key")] * key)
+    return sketch, materialize(whole.select("d1", "d2", "size", "comp").join(heads, "comp").select("d1", "d2", "size", "head", "class_size"), "classes")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
