@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, sized, text_of
+from .common import let, materialize, scope, sized, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # Each is the contract's pattern, written so that no position is tried twice: a match starts where a run starts (or
@@ -27,15 +27,20 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{2,63}+){1,4}+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
-    "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{3,4}){1,2}+(?![0-9])",
 }
 #: What a text must hold for a pattern of the kind to match at all.
 NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){7}", "phone": r"[0-9](?:[\x20().-]*[0-9]){5}"}
-ROUNDS = 3
+#: A pattern is trusted with so many known strings, and with known / (known + UNSEEN * unseen) of at least MIN_CONFIDENCE:
+#: an unseen string is weak evidence against it, as unseen identifiers are what the pattern is for.
 MIN_KNOWN = 5
+UNSEEN = 0.25
 MIN_CONFIDENCE = 0.8
+#: A string becomes known with so many trusted patterns and this mean confidence.
 MIN_PATTERNS = 2
-MIN_SCORE = 0.9
+MIN_SCORE = 0.85
+#: Characters on either side that the two nearest words of a context are looked for in.
+WINDOW = 120
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -95,8 +100,8 @@ def _occurrences(t: Column, kind: str, base: Column) -> Column:
         return F.split(F.trim(F.regexp_replace(F.lower(x), "[0-9]+", "0")), r"\s+")
 
     def context(x: Column) -> Column:
-        left = tokens(F.substr(t, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))))
-        right = tokens(F.substr(t, x["e"] + 1, F.lit(40)))
+        left = tokens(F.substr(t, F.greatest(x["s"] - (WINDOW - 1), F.lit(1)), F.least(x["s"], F.lit(WINDOW))))
+        right = tokens(F.substr(t, x["e"] + 1, F.lit(WINDOW)))
 
         def pats(c: Column) -> Column:
             l1, l2 = F.element_at(c["l"], -1), F.when(F.size(c["l"]) > 1, F.element_at(c["l"], -2)).otherwise(F.lit(""))
@@ -127,36 +132,47 @@ def _of_kind(spans: str, kind: str) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and all spans of every row: id, key (xxhash64 of the text), base and added (arrays of k, s, e).
 
-    Null text is empty; empty texts have no spans; repeated rows are each found; ids may be null. The text is read
-    once; what follows works on identifier-like strings only: occurrences, the graph's edges (pattern, string) and
-    their scores, counted by key before every shuffle.
+    Null text is empty; empty texts have no spans; repeated rows are each found; ids may be null; other columns are not
+    carried and may have any names; an empty table gives no rows. The text is read once; what follows works on
+    identifier-like strings only: occurrences, the graph's edges (pattern, string) and their scores, counted by key
+    before every shuffle. Rounds go on until one adds no string. A word of a context that is longer than WINDOW counts
+    by its WINDOW characters next to the string.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     t = F.col("_t")
 
     def all_of(base: Column) -> Column:
         return F.struct(F.concat(*[_named(base[k], k) for k in KINDS]).alias("base"), F.concat(*[_occurrences(t, k, base) for k in KINDS]).alias("occ"))
 
-    seen = rows.select(F.monotonically_increasing_id().alias("_rid"), "_id", F.xxhash64(t).alias("_key"), let(base_spans(t), all_of).alias("x"))
-    seen = materialize(seen.select("_rid", "_id", "_key", "x.base", "x.occ"), "spans")
-    occ = seen.select("_rid", F.explode("occ").alias("o")).select("_rid", "o.*")
-    edges = occ.select("k", "m", "known", F.explode("p").alias("p")).groupBy("k", "p", "m").agg(F.max("known").alias("known"))
-    edges = materialize(edges, "edges")
+    with scope(spark) as keep:
+        seen = rows.select(F.monotonically_increasing_id().alias("_rid"), "_id", F.xxhash64(t).alias("_key"), let(base_spans(t), all_of).alias("x"))
+        seen = materialize(seen.select("_rid", "_id", "_key", "x.base", "x.occ"), "spans")
+        occ = seen.select("_rid", F.explode("occ").alias("o")).select("_rid", "o.*")
+        accepted = _bootstrapped(occ.select("k", "m", "known", F.explode("p").alias("p")), keep)
+        keep(seen)
+    none = F.array().cast("array<struct<k:string,s:int,e:int>>")
+    if accepted is None:
+        return seen.select(F.col("_id").alias(id_col), F.col("_key").alias("key"), "base", none.alias("added"))
+    hits = occ.filter("not known").join(sized(accepted), ["k", "m"]).groupBy("_rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
+    return seen.join(hits, "_rid", "left").select(F.col("_id").alias(id_col), F.col("_key").alias("key"), "base", F.coalesce("added", none).alias("added"))
+
+
+def _bootstrapped(occurrences: DataFrame, keep) -> DataFrame | None:
+    """(k, m) of the strings that become known from occurrences(k, m, known, p); None if there are none."""
+    edges = materialize(occurrences.groupBy("k", "p", "m").agg(F.max("known").alias("known")), "edges")
     accepted = None
-    for _ in range(ROUNDS):
-        good = edges.groupBy("k", "p").agg((F.count_if("known") / F.count(F.lit(1))).alias("conf"), F.count_if("known").alias("n"))
+    while True:
+        known = F.count_if("known")
+        good = edges.groupBy("k", "p").agg((known / (known + UNSEEN * F.count_if(~F.col("known")))).alias("conf"), known.alias("n"))
         good = materialize(good.filter((F.col("n") >= MIN_KNOWN) & (F.col("conf") >= MIN_CONFIDENCE)).select("k", "p", "conf"), "patterns")
         new = edges.filter("not known").join(sized(good), ["k", "p"]).groupBy("k", "m").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("score"))
         new = materialize(new.filter((F.col("n") >= MIN_PATTERNS) & (F.col("score") >= MIN_SCORE)).select("k", "m"), "accepted")
         if new.isEmpty():
-            break
+            return accepted
+        keep(new)
         accepted = new if accepted is None else accepted.unionByName(new)
         edges = materialize(edges.join(sized(new.withColumn("_new", F.lit(True))), ["k", "m"], "left").select("k", "p", "m", (F.col("known") | F.col("_new").isNotNull()).alias("known")), "edges")
-    none = F.array().cast("array<struct<k:string,s:int,e:int>>")
-    if accepted is None:
-        return seen.select(F.col("_id").alias(id_col), F.col("_key").alias("key"), "base", none.alias("added"))
-    hits = occ.filter("not known").join(sized(accepted), ["k", "m"]).groupBy("_rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
-    return seen.join(hits, "_rid", "left").select(F.col("_id").alias(id_col), F.col("_key").alias("key"), "base", F.coalesce("added", none).alias("added"))
 
 
 def _written(spans: Column) -> Column:
