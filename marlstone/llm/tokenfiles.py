@@ -24,7 +24,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     Files hold part, doc_id, local_start (ids of the same file before it), n_tokens and ids. Documents are range
     partitioned by id and sorted within; a file covers a range of ids, so readers prune files, stripes and row groups
     by the ids' statistics and Bloom filters. Only texts are shuffled, once. Null text is empty (end_id alone);
-    null ids come first; rows with the same id stay next to each other, by text.
+    null ids come first; rows with the same id stay next to each other, by text. Other columns are not carried and may
+    have any names; an empty table makes files without rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
