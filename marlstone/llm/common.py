@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -20,6 +22,9 @@ BROADCAST_BYTES = 64 << 20
 #: What a byte of a written (encoded, compressed) table takes in memory at most, nearly always.
 UNPACKED = 4
 
+#: What a Python worker keeps between tasks, by name: tokenizers with their caches.
+KEPT: dict[str, object] = {}
+
 _scopes = threading.local()
 
 
@@ -92,6 +97,29 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back(kept: bool = False) -> None:
+    """Return this process's free memory to the system, which libraries else hold on to; with kept=True also KEPT."""
+    if kept and KEPT:
+        KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def frugal(run: Callable, keeps: bool = False) -> Callable:
+    """`run` for mapInArrow. Python workers outlive stages and stand beside the executor's heap: what other operators kept
+    in one goes as a task begins (not with keeps=True), and what a task has freed is returned as it ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            give_back(kept=True)
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def text_of(col: str | Column) -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -127,10 +155,10 @@ def keep_decided(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
 
 
 def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column without copying; offsets has one entry more than rows."""
+    """(bytes, offsets) of a string or binary column without copying; offsets has one entry more than rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offs, data = column.buffers()
     n = len(column)
     off = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, keep_decided, materialize, mix, scope, sized, slices, text_of, view, word_hashes
+from .common import arrow_batches, frugal, give_back, keep_decided, materialize, mix, scope, sized, slices, text_of, view, word_hashes
 from .components import components
 
 WORDS = 5
@@ -18,6 +18,8 @@ BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 #: Bands of at most SMALL nodes are met pair by pair; larger ones in blocks of about BLOCK shingles.
 SMALL, BLOCK = 8, 1 << 19
+#: Shingles of a group of blocks above which its memory is returned at once.
+LARGE = 1 << 16
 #: Groups of equal bags with more rows than this are dealt over SALTS tasks when rows look up their class.
 HOT_GROUP, SALTS = 10_000, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -121,7 +123,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 total = np.bincount(r, c, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(total), bands], ["_id", "_key", "d1", "d2", "n", "bands"])
 
-    return rows.mapInArrow(run, f"_id {kind}, _key bigint, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(frugal(run), f"_id {kind}, _key bigint, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
 
 
 def _bags(rows: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def _bags(rows: DataFrame) -> DataFrame:
                 c = c.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["d1", "d2", "s", "c"])
 
-    return rows.mapInArrow(run, "d1 bigint, d2 bigint, s binary, c binary")
+    return rows.mapInArrow(frugal(run), "d1 bigint, d2 bigint, s binary, c binary")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
     left = bags.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
     right = bags.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +187,24 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, materialize(pairs.select("band", F.col("x_block").alias("i"), F.col("y_block").alias("j"), both), "meetings")
 
 
+def _codes(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones; np.unique's inverse in less memory."""
+    order = np.argsort(x)
+    y = x[order]
+    new = y[1:] != y[:-1]
+    del y
+    out = np.zeros(len(x), np.int64)
+    out[order[1:]] = np.cumsum(new)
+    return out
+
+
 def _across(rows: DataFrame, tasks: int) -> DataFrame:
     """Links between the components of every (band, i, j) of rows(band, i, j, at, node, n, comp, s, c).
 
     Every pair of different components whose sizes allow the similarity is tested on the bags; within a block (i = j)
     all of them, else those of one block with the other. A link joins its components at once, so that pairs it made
-    needless are passed over and no more links come out than components went in.
+    needless are passed over and no more links come out than components went in. A group's bags are put in order once
+    and read where they lie; what a large group took is returned to the system.
     """
     up, down = SIMILARITY
 
@@ -199,10 +213,8 @@ def _across(rows: DataFrame, tasks: int) -> DataFrame:
         order = np.argsort(n, kind="stable")
         n, at, node, label = n[order], at[order], table.column("node").to_numpy()[order], np.unique(table.column("comp").to_numpy(), return_inverse=True)[1][order]
         apart = at[0] != at[-1] or len(np.unique(at)) > 1
-        s, c = (table.column(k).to_pylist() for k in ("s", "c"))
-        start = np.r_[0, np.cumsum([len(c[k]) // 4 for k in order])]
-        code = np.unique(np.frombuffer(b"".join(s[k] for k in order), np.uint64), return_inverse=True)[1]
-        count = np.frombuffer(b"".join(c[k] for k in order), np.int32)
+        (count, start), (code, _) = (view(table.column(k).cast(pa.large_binary()).take(pa.array(order))) for k in ("c", "s"))
+        count, start, code = count.view(np.int32), start // 4, _codes(code.view(np.uint64))
         weight, left = np.zeros(int(code.max()) + 1, np.int32), len(np.unique(label))
         end = np.searchsorted(n * up, n * down, "right")
         a, b = [], []
@@ -217,7 +229,7 @@ def _across(rows: DataFrame, tasks: int) -> DataFrame:
                 continue
             size = start[q + 1] - start[q]
             first = np.r_[0, np.cumsum(size)[:-1]]
-            of = np.arange(start[q[0]], start[q[-1] + 1]) if len(q) == q[-1] - q[0] + 1 else np.repeat(start[q] - first, size) + np.arange(int(size.sum()))
+            of = slice(start[q[0]], start[q[-1] + 1]) if len(q) == q[-1] - q[0] + 1 else np.repeat(start[q] - first, size) + np.arange(int(size.sum()))
             mine = slice(start[p], start[p + 1])
             weight[code[mine]] = count[mine]
             both = np.add.reduceat(np.minimum(weight[code[of]], count[of]), first, dtype=np.int64)
@@ -229,6 +241,9 @@ def _across(rows: DataFrame, tasks: int) -> DataFrame:
                 b += node[q[one]].tolist()
                 label[np.isin(label, joined)] = label[p]
                 left -= len(joined)
+        if len(code) > LARGE:
+            del code, count
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.repartition(tasks, "band", "i", "j").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")

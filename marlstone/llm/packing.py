@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, slices, text_of, view
+from .common import arrow_batches, frugal, slices, text_of, view
 from .tokens import word_bpe
 
 CAPACITY = 2048
@@ -100,4 +100,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(frugal(run, keeps=True), schema)

@@ -18,6 +18,8 @@ import numpy as np
 import regex
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from .common import KEPT, give_back
+
 #: Entries of a generation that a worker keeps (about 160 bytes each; two generations).
 CACHE = 250_000
 #: Longer pieces are encoded but not kept.
@@ -175,19 +177,18 @@ class ByteBpe:
         self.pieces.trim()
 
 
-_LOADED: dict[str, object] = {}
-
-
 def word_bpe(content: str) -> WordBpe:
     """One per worker process and file content."""
     key = "w" + hashlib.sha256(content.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = WordBpe(content)
-    return _LOADED[key]
+    if key not in KEPT:
+        KEPT[key] = WordBpe(content)
+        give_back()
+    return KEPT[key]
 
 
 def byte_bpe(content: bytes, pattern: str) -> ByteBpe:
     key = "b" + hashlib.sha256(content + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = ByteBpe.from_file(content, pattern)
-    return _LOADED[key]
+    if key not in KEPT:
+        KEPT[key] = ByteBpe.from_file(content, pattern)
+        give_back()
+    return KEPT[key]

@@ -377,3 +377,73 @@ def test_pipeline_against_plain_versions(spark, docs):
     assert got.keys() == want.keys() and all(got[i] == want[i] for i in want if i not in added)
     packed = packing.pack_documents(found, open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == want.keys()
+
+
+class Captured:
+    """Stands for a frame; keeps the function that an operator hands to Spark."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    def applyInArrow(self, run, schema):
+        return run
+
+    def repartition(self, *_):
+        return self
+
+    groupBy = repartition
+
+
+def test_workers_give_back_what_packing_kept():
+    """A worker that goes on to near duplicates or quality holds no tokenizer of the stage before."""
+    import gc
+    import weakref
+
+    from marlstone.llm import tokens
+
+    content = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    coder = tokens.word_bpe(content)
+    want, kept = coder.encode(b"one two, three"), weakref.ref(coder)
+    assert tokens.word_bpe(content) is coder  # kept between tasks of one operator
+    del coder
+    assert list(neardup._bags(Captured())(iter([]))) == []
+    gc.collect()
+    assert kept() is None
+    assert tokens.word_bpe(content).encode(b"one two, three") == want
+
+
+def test_blocks_return_their_memory():
+    """Links between blocks are those of all pairs, and a large group leaves little behind in its worker."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(8)]
+    bags = []
+    for k in range(400):
+        b = base[k % 8].copy()
+        b[rng.integers(0, 300, 3 + k % 60)] = rng.integers(0, 1 << 62, 3 + k % 60).astype(np.uint64)
+        bags.append(np.unique(b))
+    n = [len(b) for b in bags]
+    table = pa.table({"band": [1] * 400, "i": [1] * 400, "j": [2] * 400, "at": [1 + k // 8 % 2 for k in range(400)], "node": list(range(400)), "n": n, "comp": list(range(400)), "s": pa.array([b.tobytes() for b in bags], pa.binary()), "c": pa.array([np.ones(len(b), np.int32).tobytes() for b in bags], pa.binary())})
+
+    def classes(links):
+        up = list(range(400))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+        return [top(x) for x in range(400)]
+
+    sets = [set(b.tolist()) for b in bags]
+    every = [(a, b) for a in range(400) for b in range(a) if a // 8 % 2 != b // 8 % 2 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = neardup._across(Captured(), 1)(table)
+    links = list(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+    assert every and set(map(tuple, map(sorted, links))) <= set(map(tuple, map(sorted, every)))
+    assert classes(links) == classes(every)
+    x = rng.integers(0, 50, 1000).astype(np.uint64)
+    assert neardup._codes(x).tolist() == np.unique(x, return_inverse=True)[1].tolist() and neardup._codes(x[:1]).tolist() == [0]
